@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import fingerprints, quality_rules
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.query,
     "op7_quality_rules": quality_rules.query,
 }
 ORACLES: dict[str, str] = {}
