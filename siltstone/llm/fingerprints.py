@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from .common import range_bounds, range_bucket, shuffle_partitions, table, words
 
 #: Samples of a fingerprint. The likeness of two has a standard error of sqrt(J (1 - J) / SAMPLES).
-SAMPLES = 64
+SAMPLES = 48
 #: Bits of a sample that are kept: unequal samples look equal once in 65,536.
 SAMPLE_BITS = 16
 _HEX = SAMPLE_BITS // 4
+#: Samples that one row of the aggregation makes; few enough for the compiled loop to stay small.
+_BLOCK = 4
 
 
 def weighted_terms(text: Column) -> Column:
@@ -42,18 +44,19 @@ def weighted_terms(text: Column) -> Column:
     return F.transform(found, lambda x: F.when(F.size(x) == 0, alone).otherwise(x))[0]
 
 
-def _sample(h: Column, ln_w: Column, k: int) -> Column:
+def _sample(h: Column, ln_w: Column, k: Column) -> Column:
     """Sample k of one term as a long that is the less, the less its a is."""
-    one, two = F.xxhash64(h, F.lit(k)), F.xxhash64(h, F.lit(k + 1_000_000))
-    unit = lambda x, shift, bits: (F.shiftright(x, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("double") + F.lit(0.5)) * F.lit(2.0**-bits)
-    r = -F.ln(unit(one, 0, 24) * unit(one, 24, 24))
-    b = unit(one, 48, 16)
-    ln_c = F.ln(-F.ln(unit(two, 0, 32) * unit(two, 32, 32)))
-    t = F.floor(ln_w / r + b)
+    one, two = F.xxhash64(h, k), F.xxhash64(k, h)
+    # uniform numbers from 20, 20 and 24 bits of one hash and 32 and 32 bits of the other
+    unit = lambda x, shift, mask, scale: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask).cast("long")).cast("double") * F.lit(scale) + F.lit(scale / 2)
+    r = -F.ln(unit(one, 0, 0xFFFFF, 2.0**-20) * unit(one, 20, 0xFFFFF, 2.0**-20))
+    b = unit(one, 40, 0xFFFFFF, 2.0**-24)
+    ln_c = F.ln(-F.ln(unit(two, 0, 0xFFFFFFFF, 2.0**-32) * unit(two, 32, 0xFFFFFFFF, 2.0**-32)))
+    # a word that occurs once has ln w = 0, so t = 0
+    t = F.when(ln_w == 0, F.lit(0.0)).otherwise(F.rint(ln_w / r + b - F.lit(0.5)))
     ln_a = ln_c - r * (t - b + F.lit(1.0))
-    # ln a as a fixed-point number: 2**-36 is far below any difference that two words are likely to have
-    level = F.least(F.greatest(ln_a, F.lit(-2000.0)), F.lit(2000.0))
-    fixed = F.floor(level * F.lit(2.0**36))
+    # ln a as a fixed-point number; for these draws it is between -1000 and 4
+    fixed = (ln_a * F.lit(2.0**36)).cast("long")
     which = F.xxhash64(h, t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1).cast("long"))
     return F.shiftleft(fixed, SAMPLE_BITS).bitwiseOR(which)
 
@@ -64,11 +67,16 @@ def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     Where rows is already dealt out by some of keys, this adds no exchange. Empty and null texts have a fingerprint
     of their own; equal texts have equal ones; a row of a null key keeps it.
     """
-    terms = rows.select(*keys, F.explode(weighted_terms(F.col(text))).alias("_t")).withColumn("_ln_w", F.ln(F.col("_t.w").cast("double")))
-    least = terms.groupBy(*keys).agg(*[F.min(_sample(F.col("_t.h"), F.col("_ln_w"), k)).alias(f"_m{k}") for k in range(samples)])
+    blocks = F.array(*map(F.lit, range(0, samples, _BLOCK)))
+    # the terms are made in a projection of their own, so that generating rows and taking least samples compile together
+    made = rows.select(*keys, weighted_terms(F.col(text)).alias("_terms"))
+    terms = made.select(*keys, F.explode_outer("_terms").alias("_t")).select(*keys, F.col("_t.h").alias("_h"), F.ln(F.col("_t.w").cast("double")).alias("_ln_w"))
+    terms = terms.select(*keys, "_h", "_ln_w", F.explode(blocks).alias("_k"))
+    least = terms.groupBy(*keys, "_k").agg(*[F.min(_sample(F.col("_h"), F.col("_ln_w"), F.col("_k") + F.lit(i))).alias(f"_m{i}") for i in range(_BLOCK)])
     low = F.lit((1 << SAMPLE_BITS) - 1).cast("long")
-    parts = [F.lower(F.lpad(F.hex(F.col(f"_m{k}").bitwiseAND(low)), _HEX, "0")) for k in range(samples)]
-    return least.select(*keys, F.concat(*parts).alias("fingerprint"))
+    part = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"_m{i}").bitwiseAND(low)), _HEX, "0")) for i in range(_BLOCK)])
+    parts = least.select(*keys, "_k", part.alias("_part")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", "_part"))).alias("_parts"))
+    return parts.select(*keys, F.array_join(F.col("_parts._part"), "").alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -118,7 +126,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     both = rows.select(
         "bucket", "rn", "doc_id", "sentinel", "n_chars",
-        F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))).alias("x"),
+        F.explode_outer(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))).alias("x"),
     ).select("bucket", "rn", "doc_id", "sentinel", "n_chars", "x.is_edited", "x.sha", F.col("x.t").alias("t"))
     both = both.filter(~(F.col("sentinel") & F.col("is_edited")))
     signed = signatures(both, ["bucket", "rn", "doc_id", "sentinel", "n_chars", "is_edited", "sha"], "t")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality_rules
+from . import fingerprints, quality_rules, simhash
 
 QUERIES = {
     "op2_fingerprints": fingerprints.query,
+    "op6_simhash": simhash.query,
     "op7_quality_rules": quality_rules.query,
 }
 ORACLES: dict[str, str] = {}
