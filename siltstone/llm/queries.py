@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality_rules, simhash
+from . import fingerprints, packing, quality_rules, simhash, token_files
 
 QUERIES = {
     "op2_fingerprints": fingerprints.query,
+    "op5_packing": packing.query,
     "op6_simhash": simhash.query,
     "op7_quality_rules": quality_rules.query,
+    "op10_token_files": token_files.query,
 }
 ORACLES: dict[str, str] = {}
 
