@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing, quality_rules, simhash, token_files
+from . import fingerprints, line_dedup, mixing, packing, quality_rules, simhash, token_files
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_fingerprints": fingerprints.query,
     "op5_packing": packing.query,
     "op6_simhash": simhash.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_mixing": mixing.query,
     "op10_token_files": token_files.query,
 }
 ORACLES: dict[str, str] = {}
