@@ -7,7 +7,8 @@ so its Hessian is diagonal and every source steps on its own row of a distribute
 
 Rates become whole copies by the ranks of documents in order of size: document k of a source gets
 floor(k r + u) - floor((k - 1) r + u) copies. As neighbours have about the same size, the words taken differ from the target
-by at most about the source's largest document, whatever the number of documents; of several starts u the best is taken.
+by at most about the source's largest document, whatever the number of documents; of several starts u the best is taken, and one
+document's copies are changed by one where that brings the words nearer to the target.
 """
 
 from __future__ import annotations
@@ -94,9 +95,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_rate: float = MAX_RATE, d
     # each start u in the first unit is as good a rounding; the one whose words come nearest to the target is taken
     tried = [(i + 0.5) / _STARTS for i in range(_STARTS)]
     sums = ranked.groupBy("source").agg(F.first("target").alias("goal"), *[F.sum(F.col("size") * copies(F.lit(u))).alias(f"_u{i}") for i, u in enumerate(tried)])
-    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_u{i}") - F.col("goal")).alias("off"), F.lit(u).alias("u")) for i, u in enumerate(tried)]))
-    best = cut(sums.select("source", off["u"].alias("u")), "starts")
-    return ranked.join(best, same(ranked, best, "source")).select("doc_id", "row_hash", ranked["source"], "size", "source_size", "target", "rate", copies(F.col("u")).alias("copies"))
+    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_u{i}") - F.col("goal")).alias("off"), F.lit(u).alias("u"), (F.col("goal") - F.col(f"_u{i}")).alias("short")) for i, u in enumerate(tried)]))
+    best = cut(sums.select("source", off["u"].alias("u"), off["short"].alias("short")), "starts")
+    joined = ranked.join(best, same(ranked, best, "source")).select("doc_id", "row_hash", ranked["source"], "size", "source_size", "target", "rate", "k", "short", copies(F.col("u")).alias("copies"))
+    # then one copy more or less of the document whose size is nearest to what is still missing or too much
+    may = F.when(F.col("short") > 0, F.col("copies") + 1 <= max_rate).otherwise(F.col("copies") > 0) & (F.abs(F.col("size") - F.abs("short")) < F.abs("short"))
+    last = cut(joined.filter(may).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.abs("short")).alias("d"), "k"))["k"].alias("last_k")), "last")
+    fixed = joined.join(last, same(joined, last, "source"), "left")
+    change = F.when(F.col("k") == F.col("last_k"), F.signum("short").cast("long")).otherwise(F.lit(0).cast("long"))
+    return fixed.select("doc_id", "row_hash", joined["source"], "size", "source_size", "target", "rate", (F.col("copies") + change).alias("copies"))
 
 
 def resample(docs: DataFrame, **options) -> DataFrame:
