@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filters
+from . import fingerprints, html_text, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_fingerprints": fingerprints.query,
+    "op3_html_text": html_text.query,
     "op4_url_filters": url_filters.query,
     "op5_packing": packing.query,
     "op6_simhash": simhash.query,
