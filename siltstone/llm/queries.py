@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filters
+from . import classifier, fingerprints, html_text, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.query,
     "op6_simhash": simhash.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_quality_classifier": classifier.query,
     "op9_mixing": mixing.query,
     "op10_token_files": token_files.query,
 }
