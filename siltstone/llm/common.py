@@ -15,6 +15,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _own_dirs: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -46,9 +49,11 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder, for when all results that read it are stored."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
