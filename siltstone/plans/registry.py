@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import columns as C
 from siltstone.operators import log, membership, scan, tables, ttl, txn
 from siltstone.plans import inputs as I  # noqa: E741
-from siltstone.sources import manifest, wal
+from siltstone.sources import manifest, scratch, wal
+from siltstone.sources.store import Engine, Options
+from siltstone.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -315,6 +317,49 @@ def compaction_invariance(spark, sf):
     return after.exceptAll(before).unionAll(before.exceptAll(after)).agg(F.count("*").alias("differences"))
 
 
+# the engine and its stream
+
+
+_ENGINE = """SELECT key, value FROM (SELECT CAST(user_id AS VARCHAR) AS key, props AS value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type <> 'view')
+    WHERE rn = 1 AND event_type <> 'error'"""
+
+
+def _entries(df):
+    """events as an engine's rows: event_id orders the writes of a batch."""
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", C.INSERT).when(kind == "error", C.DELETE).when(kind == "view", C.READ).otherwise(C.UPDATE)
+    return df.select(F.col("user_id").cast("string").cast("binary").alias("key"), F.col("props").cast("binary").alias("value"), op.alias("op"), F.col("event_id").alias("pos"), F.lit(None).cast("timestamp").alias("expires_at"))
+
+
+def _shown(db):
+    return db.live().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(_ENGINE)
+def engine_view(spark, sf):
+    """Three batches written to an engine, compacted level by level, opened again and read."""
+    events, root = I.read(spark, sf, "events"), scratch.folder(spark, "engine")
+    db = Engine(spark, root, Options(level_zero_tables=2, base_level_size=1 << 14, table_size=1 << 14, max_levels=4))
+    edges = events.agg(F.percentile_approx("event_id", [0.33, 0.66]).alias("q")).first()["q"] or [0, 0]
+    for part in (F.col("event_id") <= edges[0], F.col("event_id").between(edges[0] + 1, edges[1]), F.col("event_id") > edges[1]):
+        db.append(_entries(events.filter(part)))
+    while db.compact():
+        pass
+    db.close()
+    return _shown(Engine(spark, root))
+
+
+@query(_ENGINE)
+def stream_ingest(spark, sf):
+    """events as a stream into an engine, a micro-batch a batch."""
+    root = scratch.folder(spark, "stream")
+    db = Engine(spark, f"{root}/db")
+    source = f"{sf}/events.parque[t]"  # a pattern: a stream takes no single file by its name
+    stream = spark.readStream.schema(I.read(spark, sf, "events").schema).parquet(source)
+    ingest.ingest(_entries(stream), db, f"{root}/checkpoint").awaitTermination()
+    return _shown(db)
+
+
 # the manifest
 
 
