@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, fingerprints, html_text, line_dedup, mixing, packing, quality_rules, simhash, token_files, url_filters
+from . import classifier, fingerprints, html_text, line_dedup, mixing, oracles, packing, quality_rules, simhash, token_files, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,7 +16,11 @@ QUERIES = {
     "op9_mixing": mixing.query,
     "op10_token_files": token_files.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op4_url_filters": oracles.URL_FILTERS,
+    "op7_quality_rules": oracles.QUALITY_RULES,
+}
 
 
 def queries() -> dict:
