@@ -140,6 +140,12 @@ def fifo_retention(spark, sf):
     return scan.newest(I.wal(spark, sf).select("idx", "size"), 64, "idx")
 
 
+@query(f"WITH {_WAL} SELECT (idx - 1) % 64 AS slot, max(idx) AS idx FROM wal GROUP BY 1")
+def ring_slots(spark, sf):
+    """What each slot of a ring of 64 holds: the last record that went there."""
+    return I.wal(spark, sf).groupBy(((F.col("idx") - 1) % 64).alias("slot")).agg(F.max("idx").alias("idx"))
+
+
 # transactions and requests
 
 
@@ -170,6 +176,12 @@ def txn_operations(spark, sf):
     return e.filter(F.col("op") != C.READ).select("seq", "key", "op", F.when(F.col("op") != C.DELETE, F.col("props")).alias("value"))
 
 
+@query(f"WITH {_WAL} SELECT (idx - 1) // 100 AS batch, count(*) AS requests, CAST(sum(size) AS BIGINT) AS bytes FROM wal GROUP BY 1")
+def group_commit(spark, sf):
+    """Requests coalesced a hundred at a time."""
+    return I.wal(spark, sf).groupBy(F.floor((F.col("idx") - 1) / 100).alias("batch")).agg(F.count("*").alias("requests"), F.sum("size").alias("bytes"))
+
+
 # time to live
 
 
@@ -296,6 +308,27 @@ def level_tables(spark, sf):
     return _stats(spark, sf).groupBy("level").agg(F.count("*").alias("tables"), F.max("table_id").alias("last_id"))
 
 
+@query(f"""WITH {_STORED}, {_STATS} SELECT level, table_id, row_number() OVER (PARTITION BY level ORDER BY CASE WHEN level = 0 THEN table_id ELSE smallest END) AS position FROM stats""")
+def level_order(spark, sf):
+    """The first level's tables in order of id, those of the others in order of smallest key."""
+    order = Window.partitionBy("level").orderBy(F.when(F.col("level") == 0, F.col("table_id")).otherwise(F.col("smallest")))
+    return _stats(spark, sf).select("level", "table_id", F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(f"WITH {_STORED}, {_STATS} SELECT level, min(smallest) AS lo, max(biggest) AS hi, CAST(sum(CASE WHEN smallest <= 5000 AND biggest >= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS met FROM stats GROUP BY level")
+def level_ranges(spark, sf):
+    """The key range that a level's tables span, and how many of them a range meets."""
+    meets = C.overlaps(F.col("smallest"), F.col("biggest"), F.lit(1000), F.lit(5000))
+    return _stats(spark, sf).groupBy("level").agg(F.min("smallest").alias("lo"), F.max("biggest").alias("hi"), F.count_if(meets).alias("met"))
+
+
+@query(f"WITH {_STORED}, {_STATS}, t AS (SELECT *, row_number() OVER (ORDER BY table_id) AS nth FROM stats WHERE level = 0 AND bytes < 1000000) SELECT table_id, smallest, biggest FROM t WHERE nth <= 8 AND (SELECT count(*) FROM t) >= 4")
+def level_zero_pick(spark, sf):
+    """The oldest eight small tables of the first level, if there are four: the inputs of a compaction within it."""
+    small = _stats(spark, sf).filter("level = 0 AND bytes < 1000000").orderBy("table_id").limit(8).select("table_id", "smallest", "biggest")
+    return small.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0)))).filter("_n >= 4").drop("_n")
+
+
 @query(f"WITH {_LOG}, {_LATEST} SELECT key, op, seq FROM latest")
 def compaction_output(spark, sf):
     """Compaction of some tables keeps the newest version of each key, deletes included, while deeper tables may hold the key."""
