@@ -73,7 +73,8 @@ def links(classes: DataFrame) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= MAX_BITS)
     # a pair that meets in both segments is taken from the first only
     once = (F.col("p.segment") == 0) | (F.bit_count(differ.bitwiseAND(low)) > 1)
-    return p.join(e, meet & near & once).select("a", "b")
+    # the planner does not see that probes are many rows a class, and would broadcast them where classes are small
+    return p.join(e.hint("merge"), meet & near & once).select("a", "b")
 
 
 def _state(edges: DataFrame) -> tuple:
