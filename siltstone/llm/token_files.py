@@ -42,8 +42,9 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code[:n] = lengths - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    each = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), each[np.arange(4) < lengths[:, None]].tobytes()
+    width = 2 if n and lengths.max() <= 2 else 4
+    each = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    return control.astype(np.uint8).tobytes(), each[np.arange(width) < lengths[:, None]].tobytes()
 
 
 def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -102,6 +103,8 @@ def _write_file(path: str, raw: bytes) -> None:
     part = f"{name.rpartition('/')[0]}/_part-{uuid.uuid4().hex}"
     with where.open_output_stream(part) as out:
         out.write(raw)
+    if where.get_file_info(name).type != fs.FileType.NotFound:
+        where.delete_file(name)  # of an attempt that was lost after its move
     where.move(part, name)
 
 

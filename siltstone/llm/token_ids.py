@@ -7,6 +7,7 @@ library's model encode each piece that it has not seen and looks the others up;
 
 from __future__ import annotations
 
+import array
 import itertools
 import os
 import re
@@ -37,6 +38,8 @@ def _shown() -> dict[int, str]:
 
 
 _SHOWN = _shown()
+#: Marks that are a piece of their own after a letter, at the end of a chunk.
+_MARKS = frozenset(".,;:!?")
 
 
 class _Index(dict):
@@ -72,17 +75,17 @@ class Encoder:
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        lists = []
+        made, known, learn = [], self.pieces, self._piece
         for chunk in new:
-            ids: list[int] = []
-            for piece in self._pieces(chunk):
-                got = self.pieces.get(piece)
-                if got is None:
-                    got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(_SHOWN))]
-                ids += got
-            lists.append(ids)
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total, n = int(lengths.sum()), len(lists)
+            # most chunks are a word after a space, with or without a mark at its end: one piece or two
+            word, mark = (chunk, "") if chunk[-1] not in _MARKS else (chunk[:-1], chunk[-1])
+            if word[:1] == " " and word[1:].isalpha():
+                ids = known.get(word) or learn(word)
+                made.append(ids + (known.get(mark) or learn(mark)) if mark else ids)
+            else:
+                made.append(b"".join([known.get(piece) or learn(piece) for piece in self._pieces(chunk)]))
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        total, n = int(lengths.sum()), len(made)
 
         def grown(a: np.ndarray, need: int) -> np.ndarray:
             return a if len(a) >= need else np.concatenate([a, np.zeros(max(need - len(a), len(a), 1024), a.dtype)])
@@ -91,9 +94,15 @@ class Encoder:
         self.pool = grown(self.pool, self.n_pool + total)
         self.starts[self.n_starts : self.n_starts + n] = self.n_pool + np.cumsum(lengths) - lengths
         self.lengths[self.n_starts : self.n_starts + n] = lengths
-        self.pool[self.n_pool : self.n_pool + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
+        self.pool[self.n_pool : self.n_pool + total] = np.frombuffer(b"".join(made), np.uint32)
         self.n_starts, self.n_pool = self.n_starts + n, self.n_pool + total
 
+    def _piece(self, piece: str) -> bytes:
+        """A piece's ids as bytes, which Python's garbage collector passes over; a table of lists costs it as much as encoding."""
+        shown = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() and piece[1:].isalpha() else piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
+        self.pieces[piece] = ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return ids
+
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [_CHUNK.findall(t) for t in texts]
         ends = np.cumsum([len(c) for c in chunks])
