@@ -120,9 +120,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(member, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: the one of least doc_id, and of rows that share it one."""
-    found = near_duplicates(docs)
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without all but one document of each component of found (root, component_id): the one of least doc_id, and of rows
+    that share it one."""
     cols = docs.columns
     kept = found.groupBy("root").agg(F.min("component_id").alias("doc_id")).filter("doc_id IS NOT NULL").select("doc_id").distinct()
     # components without any doc_id can't be told apart by id: they keep their rows
@@ -132,6 +132,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return packed.select("_row.*").unionByName(nameless)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without all but one document of each component of fingerprints."""
+    return keep_least(docs, near_duplicates(docs))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
