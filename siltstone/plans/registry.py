@@ -278,7 +278,7 @@ def block_index(spark, sf):
 
 @query("SELECT o_orderkey AS id, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '.sst' AS name, o_orderkey AS parsed, CAST(NULL AS BIGINT) AS parsed_other FROM orders WHERE o_orderkey < 1000000")
 def table_names(spark, sf):
-    named = I.read(spark, sf, "orders").filter("o_orderkey < 1000000").select(F.col("o_orderkey").alias("id"), C.table_name(F.col("o_orderkey")).alias("name"))
+    named = I.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), C.table_name(F.col("o_orderkey")).alias("name"))
     return named.select("id", "name", C.parse_table_id(F.concat(F.lit("a/"), "name")).alias("parsed"), C.parse_table_id(F.concat(F.col("name"), F.lit("x"))).alias("parsed_other"))
 
 
