@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import range_bounds, range_bucket, shuffle_partitions, table, words
 
 #: Samples of a fingerprint. The likeness of two has a standard error of sqrt(J (1 - J) / SAMPLES).
-SAMPLES = 48
+SAMPLES = 64
 #: Bits of a sample that are kept: unequal samples look equal once in 65,536.
 SAMPLE_BITS = 16
 _HEX = SAMPLE_BITS // 4
