@@ -70,6 +70,14 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """At most n ascending values of an integral column that cut its rows into about equal ranges; exact counts do not depend on them."""
     if n < 2:
