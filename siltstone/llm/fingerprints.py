@@ -22,61 +22,70 @@ SAMPLES = 64
 SAMPLE_BITS = 16
 _HEX = SAMPLE_BITS // 4
 #: Samples that one row of the aggregation makes; few enough for the compiled loop to stay small.
-_BLOCK = 4
+_BLOCK = 2
 
 
-def weighted_terms(text: Column) -> Column:
-    """array<struct<h, w>>: hash and count of each distinct word. A text without words has one term, h = 0 of weight 1."""
-    hashes = F.sort_array(F.transform(words(text), lambda x: F.xxhash64(x)))
+def _terms(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str]) -> DataFrame:
+    """keys, _h, _c, _w0, _w1 ...: hash of each distinct word of a row's texts and its count in each, null where it
+    is not there.
 
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull())
-
-        def counted(st: Column) -> Column:
-            return F.transform(st, lambda i, j: F.struct(s[i].alias("h"), (F.coalesce(F.get(st, j + 1), n) - i).alias("w")))
-
-        return F.transform(F.array(starts), counted)[0]
-
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).alias("w")))
-    # let-bindings by one-element arrays: the hashes are sorted once, not once for each reference
-    found = F.transform(F.array(hashes), runs)
-    return F.transform(found, lambda x: F.when(F.size(x) == 0, alone).otherwise(x))[0]
-
-
-def _sample(h: Column, ln_w: Column, k: Column) -> Column:
-    """Sample k of one term as a long that is the less, the less its a is."""
-    one, two = F.xxhash64(h, k), F.xxhash64(k, h)
+    A text without words has one term of its own, hash 0 and count 1. One more row of each row has _c, the columns carried;
+    _c is null beside words, so that what is long is not copied for each.
+    """
+    c = F.struct(*carried, F.lit(True).alias("_own"))
+    none = F.lit(None).cast("array<string>")
+    sides = [F.struct(F.lit(i).alias("side"), words(F.col(t)).alias("ws"), F.when(F.lit(False), c).alias("c")) for i, t in enumerate(texts)] + [F.struct(F.lit(-1).alias("side"), none.alias("ws"), c.alias("c"))]
+    each = rows.select(*keys, F.explode(F.array(*sides)).alias("_x")).select(*keys, "_x.side", "_x.c", "_x.ws")
+    # the array is a column of its own here, so that the rows of its words don't carry it
+    each = each.select(*keys, F.col("side").alias("_side"), F.col("c").alias("_c"), F.explode_outer("ws").alias("_word"))
+    h = F.when(F.col("_word").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("_word"))
+    return each.select(*keys, "_c", "_side", h.alias("_h")).groupBy(*keys, "_h", "_c").agg(*[F.sum(F.when(F.col("_side") == i, 1)).alias(f"_w{i}") for i in range(len(texts))])
+
+
+def _draws(h: Column, k: Column) -> list[Column]:
+    """r, b and ln c of a word, by its hash, in sample k."""
+    one = F.xxhash64(h.bitwiseXOR(k.cast("long")))
+    two = F.xxhash64(one)
     # uniform numbers from 20, 20 and 24 bits of one hash and 32 and 32 bits of the other
     unit = lambda x, shift, mask, scale: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask).cast("long")).cast("double") * F.lit(scale) + F.lit(scale / 2)
     r = -F.ln(unit(one, 0, 0xFFFFF, 2.0**-20) * unit(one, 20, 0xFFFFF, 2.0**-20))
     b = unit(one, 40, 0xFFFFFF, 2.0**-24)
-    ln_c = F.ln(-F.ln(unit(two, 0, 0xFFFFFFFF, 2.0**-32) * unit(two, 32, 0xFFFFFFFF, 2.0**-32)))
+    return [r, b, F.ln(-F.ln(unit(two, 0, 0xFFFFFFFF, 2.0**-32) * unit(two, 32, 0xFFFFFFFF, 2.0**-32)))]
+
+
+def _sample(h: Column, ln_w: Column, r: Column, b: Column, ln_c: Column) -> Column:
+    """A term's sample as a long that is the less, the less its a is; null for a word that a text does not have."""
     # a word that occurs once has ln w = 0, so t = 0
     t = F.when(ln_w == 0, F.lit(0.0)).otherwise(F.rint(ln_w / r + b - F.lit(0.5)))
     ln_a = ln_c - r * (t - b + F.lit(1.0))
     # ln a as a fixed-point number; for these draws it is between -1000 and 4
     fixed = (ln_a * F.lit(2.0**36)).cast("long")
-    which = F.xxhash64(h, t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1).cast("long"))
+    which = h.bitwiseXOR(t.cast("long")).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1).cast("long"))
     return F.shiftleft(fixed, SAMPLE_BITS).bitwiseOR(which)
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys (which identify a row) and fingerprint, a string of SAMPLE_BITS a sample in hexadecimal.
+def signatures(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str] | None = None, samples: int = SAMPLES) -> DataFrame:
+    """keys (which identify a row), the columns carried, and fingerprint0, fingerprint1 ... of the texts: strings of
+    SAMPLE_BITS a sample in hexadecimal. The draws of a word are made once for all texts of its row, and a sample once for
+    the texts in which its count is equal.
 
     Where rows is already dealt out by some of keys, this adds no exchange. Empty and null texts have a fingerprint
     of their own; equal texts have equal ones; a row of a null key keeps it.
     """
-    blocks = F.array(*map(F.lit, range(0, samples, _BLOCK)))
-    # the terms are made in a projection of their own, so that generating rows and taking least samples compile together
-    made = rows.select(*keys, weighted_terms(F.col(text)).alias("_terms"))
-    terms = made.select(*keys, F.explode_outer("_terms").alias("_t")).select(*keys, F.col("_t.h").alias("_h"), F.ln(F.col("_t.w").cast("double")).alias("_ln_w"))
-    terms = terms.select(*keys, "_h", "_ln_w", F.explode(blocks).alias("_k"))
-    least = terms.groupBy(*keys, "_k").agg(*[F.min(_sample(F.col("_h"), F.col("_ln_w"), F.col("_k") + F.lit(i))).alias(f"_m{i}") for i in range(_BLOCK)])
+    carried, sides = carried or [], range(len(texts))
+    blocks = F.when(F.col("_c").isNull(), F.array(*map(F.lit, range(0, samples, _BLOCK)))).otherwise(F.array(F.lit(-1)))
+    terms = _terms(rows, keys, texts, carried).select(*keys, "_c", "_h", *[F.ln(F.col(f"_w{i}").cast("double")).alias(f"_l{i}") for i in sides], F.explode(blocks).alias("_k"))
+    drawn = terms.select("*", *[x.alias(f"_{n}{j}") for j in range(_BLOCK) for n, x in zip("rbc", _draws(F.col("_h"), F.col("_k") + F.lit(j)))])
+    for i in sides:
+        made = [_sample(F.col("_h"), F.col(f"_l{i}"), *[F.col(f"_{n}{j}") for n in "rbc"]) for j in range(_BLOCK)]
+        # a projection for each text: what it reads of the one before is made once
+        drawn = drawn.select("*", *[(F.when(F.col(f"_l{i}") == F.col(f"_l{i - 1}"), F.col(f"_s{i - 1}_{j}")).otherwise(x) if i else x).alias(f"_s{i}_{j}") for j, x in enumerate(made)])
+    least = drawn.groupBy(*keys, "_k", "_c").agg(*[F.min(f"_s{i}_{j}").alias(f"_s{i}_{j}") for i in sides for j in range(_BLOCK)])
     low = F.lit((1 << SAMPLE_BITS) - 1).cast("long")
-    part = F.concat(*[F.lower(F.lpad(F.hex(F.col(f"_m{i}").bitwiseAND(low)), _HEX, "0")) for i in range(_BLOCK)])
-    parts = least.select(*keys, "_k", part.alias("_part")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", "_part"))).alias("_parts"))
-    return parts.select(*keys, F.array_join(F.col("_parts._part"), "").alias("fingerprint"))
+    part = [F.concat(*[F.lower(F.lpad(F.hex(F.col(f"_s{i}_{j}").bitwiseAND(low)), _HEX, "0")) for j in range(_BLOCK)]).alias(f"_p{i}") for i in sides]
+    # the row of the columns carried has no samples, so its parts are null, which array_join passes over
+    parts = least.select(*keys, "_k", "_c", *part).groupBy(*keys).agg(F.first("_c", ignorenulls=True).alias("_c"), F.sort_array(F.collect_list(F.struct("_k", *[f"_p{i}" for i in sides]))).alias("_parts"))
+    return parts.select(*keys, *[F.col("_c")[x].alias(x) for x in carried], *[F.array_join(F.col(f"_parts._p{i}"), "").alias(f"fingerprint{i}") for i in sides])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -122,17 +131,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.floor(n_chars / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - cut), F.substring(F.coalesce("next_text", "text"), F.lit(1), cut))
     rows = placed.withColumns({"next_text": F.lead("text").over(down), "rn": F.row_number().over(down)}).select(
-        "bucket", "rn", "doc_id", "sentinel", n_chars.cast("long").alias("n_chars"), "text", edited.alias("edited")
-    )
-    both = rows.select(
-        "bucket", "rn", "doc_id", "sentinel", "n_chars",
-        F.explode_outer(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")))).alias("x"),
-    ).select("bucket", "rn", "doc_id", "sentinel", "n_chars", "x.is_edited", "x.sha", F.col("x.t").alias("t"))
-    both = both.filter(~(F.col("sentinel") & F.col("is_edited")))
-    signed = signatures(both, ["bucket", "rn", "doc_id", "sentinel", "n_chars", "is_edited", "sha"], "t")
-    pairs = signed.groupBy("bucket", "rn", "doc_id", "sentinel", "n_chars").agg(
-        F.max("sha").alias("edited_sha256"), F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint")
+        "bucket", "rn", "doc_id", "sentinel", n_chars.cast("long").alias("n_chars"), "text",
+        F.when(~F.col("sentinel"), edited).alias("edited"), F.when(~F.col("sentinel"), F.sha2(edited, 256)).alias("edited_sha256"),
     )
+    signed = signatures(rows, ["bucket", "rn"], ["text", "edited"], ["doc_id", "sentinel", "n_chars", "edited_sha256"])
+    pairs = signed.withColumnsRenamed({"fingerprint0": "fingerprint", "fingerprint1": "edited_fingerprint"})
     after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("rn"))
     return (
         pairs.withColumn("next_fingerprint", after)
