@@ -3,7 +3,7 @@
 A window is a shortest run of consecutive lines with MIN_WORDS words: one from each line on, and one up to each line. The
 least line hash of a window is its fingerprint. Any run of MIN_WORDS words holds a whole window, and a window's fingerprint
 depends on its lines only, so a shared run always shares a fingerprint. Windows meet by fingerprint and are verified by the
-hash of all their lines; each later one is a repeat. Windows that grow to the right and to the left of a fingerprint overlap,
+hash of all their lines; each later one is a repeat, and the lines of the first one stay. Windows that grow to the right and to the left of a fingerprint overlap,
 and their union is the whole repeated run: that is the extension both ways, without a comparison of pairs of documents, so a
 passage in a third of all documents costs a row for each of its windows and no more.
 
@@ -56,20 +56,22 @@ def windows(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """The windows that occur earlier: _key, _rk, first, last."""
+    """The windows that occur more than once: _key, _rk, first, last, and again, which is false for the first occurrence."""
     at = F.struct("_key", "_rk", "first")
     seen = found.groupBy("fingerprint", "content").agg(F.min(at).alias("at"), F.count("*").alias("n")).filter("n > 1").select("fingerprint", "content", "at")
     # written, so that both sides of the join are plain exchanges and a passage that a third of all documents share is split
     seen = cut(seen, "seen")
-    return found.join(seen, ["fingerprint", "content"]).filter(at > F.col("at")).select("_key", "_rk", "first", "last")
+    return found.join(seen, ["fingerprint", "content"]).select("_key", "_rk", "first", "last", (at > F.col("at")).alias("again"))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated lines deleted from text, and n_deleted, the number of lines deleted. Every row stays, if only with
-    an empty text; null texts stay null. Blank lines within a deleted run go with it. Columns named n_deleted are replaced."""
+    an empty text; null texts stay null. Lines of a window's first occurrence stay, in whatever other window they are. Blank lines within a deleted run go with it. Columns named n_deleted are replaced."""
     found = cut(windows(lines(docs, doc_id, text), min_words), "windows")
-    runs = repeats(found).groupBy("_key", "_rk").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
-    gone = runs.select("_key", "_rk", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["first"], r["last"])))).alias("_gone"))
+    runs = repeats(found).groupBy("_key", "_rk").agg(*[F.collect_set(F.when(F.col("again") == x, F.struct("first", "last"))).alias(n) for x, n in ((True, "_again"), (False, "_source"))])
+    spread = lambda c: F.flatten(F.transform(c, lambda r: F.sequence(r["first"], r["last"])))
+    # a line of a first occurrence stays, so a run that overlaps its own repeats is not lost
+    gone = runs.filter(F.size("_again") > 0).select("_key", "_rk", F.array_except(spread("_again"), spread("_source")).alias("_gone"))
     joined = _keyed(docs.drop("n_deleted"), doc_id, text).join(gone, ["_key", "_rk"], "left")
     parts = F.split(F.col(text), "\n")
 

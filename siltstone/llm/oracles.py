@@ -39,7 +39,8 @@ g AS (SELECT doc_id, line, list(x) OVER r AS rx, max(line) OVER r AS r_last, sum
   WINDOW r AS (PARTITION BY doc_id ORDER BY e - words RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING), f AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
 w AS (SELECT doc_id, line AS a, r_last AS z, rx AS content FROM g WHERE rw >= {MIN_WORDS} UNION SELECT doc_id, f_first, line, fx FROM g WHERE fw >= {MIN_WORDS}),
 seen AS (SELECT content, min({{'d': doc_id, 'a': a}}) AS first_at FROM w GROUP BY content HAVING count(*) > 1),
-gone AS (SELECT DISTINCT w.doc_id, unnest(range(a, z + 1)) AS line FROM w JOIN seen USING (content) WHERE {{'d': w.doc_id, 'a': a}} > first_at),
+met AS (SELECT w.doc_id, unnest(range(a, z + 1)) AS line, {{'d': w.doc_id, 'a': a}} > first_at AS again FROM w JOIN seen USING (content)),
+gone AS (SELECT doc_id, line FROM met GROUP BY doc_id, line HAVING bool_and(again)),
 kept AS (SELECT each.doc_id, coalesce(string_agg(x, chr(10) ORDER BY each.line) FILTER (gone.line IS NULL), '') AS text, count(gone.line) AS n_deleted FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.line = gone.line GROUP BY each.doc_id)
 SELECT d.doc_id, kept.text, coalesce(n_deleted, 0) AS n_deleted FROM documents d LEFT JOIN kept USING (doc_id)
 """

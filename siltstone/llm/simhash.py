@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, table, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -108,28 +108,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, root, component_id for each row of docs: root is the least fingerprint it reaches, component_id the least
-    doc_id (null where the whole component has none). Null and empty texts have fingerprint 0."""
-    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")), "simhash")
+    """doc_id, k, fp, root, component_id for each row of docs: k is a hash of the text, root the least fingerprint it reaches,
+    component_id the least doc_id (null where the whole component has none). Null and empty texts have fingerprint 0."""
+    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("k"), _fingerprints(F.col(text)).alias("fp")), "simhash")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     stars = components(links(classes.select("fp")))
     rooted = classes.join(stars, classes["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     rooted = cut(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = cut(rooted.join(named, "root").select("fp", "root", "component_id"), "members")
-    return prints.join(member, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(member, "fp").select("doc_id", "k", "fp", "root", "component_id")
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without all but one document of each component of found (root, component_id): the one of least doc_id, and of rows
-    that share it one."""
-    cols = docs.columns
-    kept = found.groupBy("root").agg(F.min("component_id").alias("doc_id")).filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    # components without any doc_id can't be told apart by id: they keep their rows
-    stay = docs.join(cut(kept, "kept"), "doc_id", "left_semi")
-    packed = stay.groupBy("doc_id").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row"))
-    nameless = docs.filter("doc_id IS NULL")
-    return packed.select("_row.*").unionByName(nameless)
+    """docs with one row of each component of found (doc_id, k: hash of the text, root): the one of least doc_id (null last),
+    then of least k. Rows that agree in both have one text; of them one stays, by a hash of all columns."""
+    cols, k = docs.columns, unused(docs, "_k")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k")).alias("x"))
+    # (doc_id, k) decides the root, so no two components keep the same one
+    kept = cut(first.select(F.col("x.doc_id").alias("_id"), F.col("x.k").alias("_text")), "kept")
+    stay = docs.withColumn(k, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(k) == F.col("_text")), "left_semi")
+    return stay.groupBy("doc_id", k).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("_row")).select("_row.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -138,5 +137,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; repeated rows stay, and a null doc_id is never a component's name unless
+    the component has no other."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

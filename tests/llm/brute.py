@@ -41,7 +41,7 @@ def rule_measures(text):
 
 def dedup_lines(docs, min_words):
     """doc_id -> text without repeated runs, of [(doc_id, text)] in order."""
-    seen, gone = {}, defaultdict(set)
+    where, kept = defaultdict(list), defaultdict(set)
     for d, text in docs:
         lines = [(i, x.strip(WHITE), len(words(x))) for i, x in enumerate((text or "").split("\n"))]
         lines = [x for x in lines if x[2]]
@@ -56,11 +56,14 @@ def dedup_lines(docs, min_words):
                         break
                     e += step
         for s, e in sorted(found):
-            key = tuple(x[1] for x in lines[s : e + 1])
-            if key in seen:
-                gone[d] |= set(range(lines[s][0], lines[e][0] + 1))
-            seen.setdefault(key, (d, s))
-    return {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
+            where[tuple(x[1] for x in lines[s : e + 1])].append((d, range(lines[s][0], lines[e][0] + 1)))
+    gone = defaultdict(set)
+    for places in where.values():
+        for d, r in places[1:]:
+            gone[d].update(r)
+        if len(places) > 1:  # the first occurrence stays whole
+            kept[places[0][0]].update(places[0][1])
+    return {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d] - kept[d]) for d, t in docs}
 
 
 def simhash(text):

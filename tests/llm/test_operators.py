@@ -365,3 +365,22 @@ def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "<p>x", "y", "z")], "page_id long, url string, html string, host string, text string")
     assert url_filters.judge(pages, spark.createDataFrame([("a.b", 1)], "host string, bad int")).count() == 1
     assert html_text.extract(pages).first()["text"] == "x"
+
+
+def test_line_dedup_keeps_the_source(spark):
+    """A run that overlaps its own repeats keeps one whole occurrence; so does one with a period of two lines."""
+    line, pair = " ".join(f"s{i}" for i in range(10)), [" ".join(f"{c}{i}" for i in range(10)) for c in "ab"]
+    texts = {1: "\n".join([line] * 100), 2: "\n".join([line] * 30), 3: "\n".join(pair * 20), 4: "\n".join([pair[1], pair[0]] * 10)}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == dedup_lines(sorted(texts.items()), 50)
+    assert got[1] == "\n".join([line] * 5) and got[2] == "" and got[3] == "\n".join(pair * 3) and got[4] == ""
+
+
+def test_keep_one_of_each_group(spark):
+    """Groups that share doc_ids each keep one row; rows of no id are in their texts' groups."""
+    x, y, z = ("one two three four five six", "a quite other text stands in this place", "some third thing that has no name at all")
+    rows = [(5, x), (7, x), (5, y), (3, y), (None, x), (None, z), (None, z)]
+    for _ in range(3):
+        random.shuffle(rows)
+        got = sim.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(5, x), (3, y), (None, z)], key=str)
