@@ -1,8 +1,9 @@
 """Token ids of texts, made by the tokenizers library from a public vocabulary file whose path is a parameter.
 
 A byte-level vocabulary never joins a token across the start of a run of white space, so a text falls into chunks (white
-space, then other characters) whose ids do not depend on their neighbours. A worker lets the
-library's model encode each piece that it has not seen and looks the others up; the memory of that table is bounded.
+space, then other characters) whose ids do not depend on their neighbours. A worker encodes each chunk that it has not seen and
+looks the others up; the memory of that table is bounded. Chunks of ASCII and Latin-1 letters are cut into pieces here, which the
+library's model encodes; all others, and those that hold an added token such as an end mark, are encoded by the library as a whole.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ import numpy as np
 #: Unicode's white space.
 _WHITE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-#: Bounds of a worker's table, in chunks and in characters, and of the texts that are looked up at once.
-TABLE_CHUNKS, TABLE_CHARS = 600_000, 12_000_000
+#: What is letters and what is not in any version of Unicode: a space and letters, and text that pieces are cut from here.
+_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PROVEN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]+")
+#: Bounds of a worker's table, in chunks, in pieces of chunks and in characters, and of the texts that are looked up at once.
+TABLE_CHUNKS, TABLE_PIECES, TABLE_CHARS = 500_000, 100_000, 12_000_000
 _AT_ONCE = 400_000
 
 
@@ -61,7 +65,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # an added token that holds white space can span chunks: texts that hold one are encoded by the library
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._spanning = [t for t in self._added if not _CHUNK.fullmatch(t) or t[:1] in _WHITE]
         import public_tokenizers
         import regex
 
@@ -79,11 +85,13 @@ class Encoder:
         for chunk in new:
             # most chunks are a word after a space, with or without a mark at its end: one piece or two
             word, mark = (chunk, "") if chunk[-1] not in _MARKS else (chunk[:-1], chunk[-1])
-            if word[:1] == " " and word[1:].isalpha():
+            if _WORD.fullmatch(word):
                 ids = known.get(word) or learn(word)
                 made.append(ids + (known.get(mark) or learn(mark)) if mark else ids)
-            else:
+            elif _PROVEN.fullmatch(chunk) and not any(t in chunk for t in self._added):
                 made.append(b"".join([known.get(piece) or learn(piece) for piece in self._pieces(chunk)]))
+            else:
+                made.append(np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes())
         lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
         total, n = int(lengths.sum()), len(made)
 
@@ -122,7 +130,7 @@ class Encoder:
             for chunk in new:  # the table is full: what came first, so most that is frequent, stays
                 del self.index[chunk]
             _, self.n_starts, self.n_pool = kept
-            if len(self.pieces) > TABLE_CHUNKS:
+            if len(self.pieces) > TABLE_PIECES:
                 self.pieces = {}
         else:
             self.chars += sum(map(len, new))
@@ -133,6 +141,11 @@ class Encoder:
         group: list[str] = []
         size = 0
         for t in texts:
+            if t and any(x in t for x in self._spanning):
+                yield from self._group(group) if group else ()
+                group, size = [], 0
+                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                continue
             group.append(t or "")
             size += len(group[-1])
             if size >= _AT_ONCE:

@@ -173,13 +173,11 @@ def test_reputation(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(token_ids.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(token_ids.default_vocabulary())
 
 
 def test_token_ids(tokenizer):
-    rng, alphabet = random.Random(1), [*" \t\n\r\x0b\x0c\xa0 \x1c\x85 ab.Z'é%1漢😀", "'s", "<|endoftext|>", "  "]
+    rng, alphabet = random.Random(1), [*" \t\n\r\x0b\x0c\xa0 \x1c\x85 ab.Z'é%1漢😀", "'s", "<|endoftext|>", "  ", "µ", "ª", "\u1c89", "\ua7da", "\U000105c0", "\U00010d40", "ß", "÷", "<|"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)]
     small = token_ids.Encoder(token_ids.default_vocabulary())
     expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
