@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,16 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Bounds the Arrow batches of plans made within by bytes, where the session sets no bound itself; long texts else make batches
+    of 10,000 rows that no executor's memory is meant for."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.conf.get(key, None) or "-1") in ("-1", str(2**63 - 1), str(2**31 - 1)):
+        spark.conf.set(key, most)
+    yield
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or name with underscores, so that df has no such column."""
     taken = {c.lower() for c in df.columns}

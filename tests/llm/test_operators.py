@@ -288,13 +288,52 @@ def test_policies_and_ablations(spark, sf):
 
 
 def test_classifier_held_out(spark):
+    """Held-out accuracy, recall of toxic documents included; what the rounds hand over changes the models, both ways."""
     d = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    models = classifier.train(docs, labels.filter("doc_id % 3 <> 0"))
-    got = classifier.score(docs, models).withColumnsRenamed({"quality": "p", "toxic": "pt"}).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
-    assert np.mean([(r["p"] >= 0.5) == (r["quality"] == 1) for r in got]) > 0.93
-    clean = [r["kept"] for r in got if r["quality"] == 1 and r["toxic"] == 0]
-    assert np.mean(clean) > 0.95
+    docs, labels, pages = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    rows = classifier.features(docs, labels.filter("doc_id % 3 <> 0"), pages)
+    got = {}
+    for rounds in (0, classifier.ROUNDS):
+        scored = classifier.scores(rows, classifier.co_train(rows, rounds=rounds)).withColumnsRenamed({"quality": "p", "toxic": "pt"})
+        got[rounds] = scored.join(labels.filter("doc_id % 3 = 0"), "doc_id").orderBy("doc_id").collect()
+        assert np.mean([(r["p"] >= 0.5) == (r["quality"] == 1) for r in got[rounds]]) > 0.93
+        assert np.mean([r["kept"] for r in got[rounds] if r["quality"] == 1 and r["toxic"] == 0]) > 0.95
+        assert np.mean([r["pt"] >= 0.5 for r in got[rounds] if r["toxic"] == 1]) > 0.5
+    assert got[0] != got[classifier.ROUNDS]
+
+
+def test_marks_of_a_round(spark):
+    """A round's marks against plain sorting, on log odds without ties."""
+    rng = np.random.default_rng(5)
+    names = [f"{t}_{v}" for t in classifier.TARGETS for v in classifier.VIEWS]
+    odds = rng.normal(0, 2, (1000, 4))
+    odds[:, 3] = -2 + odds[:, 3] * 0.01  # a view that knows no more than the prior says nothing
+    rows = spark.createDataFrame([(i, i, *map(float, x)) for i, x in enumerate(odds)], "doc_id long, k long, " + ", ".join(f"{n} double" for n in names))
+    priors = {"quality": 1.5, "toxic": -2.0}
+    expected = set()
+    for j, n in enumerate(names):
+        prior = priors[n.split("_")[0]]
+        share, order = 1 / (1 + np.exp(-prior)), np.sort(odds[:, j])
+        low, high = (order[int(np.ceil(q * 1000)) - 1] for q in (classifier.MARKED * (1 - share), 1 - classifier.MARKED * share))
+        for i in range(1000):
+            if odds[i, j] >= max(high, prior + classifier.EVIDENCE):
+                expected.add((n, 1, i))
+            elif odds[i, j] <= min(low, prior - classifier.EVIDENCE):
+                expected.add((n, 0, i))
+    got = [tuple(r) for r in classifier.marks(rows, priors, 0).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and not any(n == "toxic_meta" for n, _, _ in got)
+    few = [tuple(r) for r in classifier.marks(rows, priors, 0, most=5).collect()]
+    assert set(few) <= expected and Counter(x[:2] for x in few) == {k: min(5, n) for k, n in Counter(x[:2] for x in expected).items()}
+
+
+def test_classifier_rows(spark):
+    """Null and repeated ids: each row has its own score, and score() gives each its row."""
+    rows = [(None, "some words here", "en", "a", 5), (None, None, None, None, None), (7, "one", "en", "a", 3), (7, "one", "en", "a", 3), (7, "two", "en", "b", 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(7, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    models = classifier.train(df, labels)
+    assert classifier.features(df, labels).filter("quality IS NOT NULL").count() == 3
+    assert sorted(map(str, classifier.score(df, models).drop("quality", "toxic", "kept").collect())) == sorted(map(str, df.collect()))
 
 
 def test_classifier_odd(spark, odd):
