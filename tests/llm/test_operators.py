@@ -421,3 +421,15 @@ def test_keep_one_of_each_group(spark):
         random.shuffle(rows)
         got = sim.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
         assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(5, x), (3, y), (None, z)], key=str)
+
+
+def test_nearest_urls(spark):
+    """Neighbours are the nearest by path within the host, whatever the size of its folders and however ranges are cut."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "hot", "hot", "hot"]), f"/{rng.randrange(4)}/{rng.randrange(300)}", i % 50, i, [i]) for i in range(900)]
+    got = {r["row"]: (r["before"], r["after"]) for r in html_text.with_neighbours(spark.createDataFrame(rows, "host string, path string, page_id long, row long, lines array<long>")).collect()}
+    order = sorted(rows)
+    for k, r in enumerate(order):
+        before = order[k - 1][4] if k and order[k - 1][0] == r[0] else None
+        after = order[k + 1][4] if k + 1 < len(order) and order[k + 1][0] == r[0] else None
+        assert got[r[3]] == (before, after)
