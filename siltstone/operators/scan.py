@@ -38,6 +38,16 @@ def neighbours(df: DataFrame, key: str = "key", prefix_chars: int = 2) -> DataFr
     return near.join(around, "_b").select(key, F.coalesce("_prev", "_below").alias("prev_key"), F.coalesce("_next", "_above").alias("next_key"))
 
 
+def positions(df: DataFrame, key: str = "key", prefix_chars: int = 2) -> DataFrame:
+    """Each distinct key with its position in the order of all, from 1: its place in the bucket of its prefix, after the keys
+    of the buckets before, of which there is one row each."""
+    keys = df.select(key).distinct().withColumn("_b", F.substring(F.col(key), 1, prefix_chars))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = keys.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_offset"))
+    own = keys.withColumn("_own", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    return own.join(offsets, "_b").select(key, (F.col("_offset") + F.col("_own")).cast("long").alias("position"))
+
+
 def running_sum(df: DataFrame, order: str, value: str, into: str, width: int) -> DataFrame:
     """Adds the sum of value over rows before each, in order of an integral column without ties.
 

@@ -112,11 +112,9 @@ def prefix_scan(spark, sf):
     return scan.prefix_scan(_orders(spark, sf), "77")
 
 
-@query(f"SELECT key, row_number() OVER (ORDER BY key) AS position FROM ({_TEXT}) ORDER BY key LIMIT 100")
+@query(f"SELECT key, row_number() OVER (ORDER BY key) AS position FROM ({_TEXT})")
 def ordered_keys(spark, sf):
-    """The first hundred keys, a feature of the report."""
-    top = _orders(spark, sf).select("key").orderBy("key").limit(100)
-    return top.withColumn("position", F.row_number().over(Window.orderBy("key")).cast("long"))
+    return scan.positions(_orders(spark, sf))
 
 
 @query(f"SELECT key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM ({_TEXT})")
@@ -276,7 +274,7 @@ def block_index(spark, sf):
     return tables.block_index(I.stored(spark, sf), "key", "key", "size", I.BLOCK_BYTES, _WIDTH)
 
 
-@query("SELECT o_orderkey AS id, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '.sst' AS name, o_orderkey AS parsed, CAST(NULL AS BIGINT) AS parsed_other FROM orders WHERE o_orderkey < 1000000")
+@query("SELECT id, repeat('0', greatest(0, 6 - length(digits))) || digits || '.sst' AS name, id AS parsed, CAST(NULL AS BIGINT) AS parsed_other FROM (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS digits FROM orders)")
 def table_names(spark, sf):
     named = I.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), C.table_name(F.col("o_orderkey")).alias("name"))
     return named.select("id", "name", C.parse_table_id(F.concat(F.lit("a/"), "name")).alias("parsed"), C.parse_table_id(F.concat(F.col("name"), F.lit("x"))).alias("parsed_other"))

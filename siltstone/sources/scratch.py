@@ -14,6 +14,8 @@ def folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a shared folder")
     own = tempfile.mkdtemp(prefix=f"siltstone-{name}-")
     atexit.register(shutil.rmtree, own, True)
     return f"file://{own}"
