@@ -77,6 +77,27 @@ def word_buckets(text: str) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w) % WORD_BUCKETS for w in words | stems if w), np.int32))
 
 
+_FAR = 65_535
+
+
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending buckets as unsigned 16-bit steps from one to the next, from -1 on; _FAR is a step that ends at no bucket."""
+    steps = np.diff(buckets, prepend=-1)
+    far = steps // _FAR
+    out = np.full(int(far.sum()) + len(steps), _FAR, "<u2")
+    out[np.cumsum(far + 1) - 1] = steps - far * _FAR
+    return out.tobytes()
+
+
+def unpacked(steps: np.ndarray, lengths: np.ndarray) -> Ragged:
+    """The buckets of rows whose steps follow each other; lengths: steps of each row."""
+    upto, ends = np.concatenate(([0], np.cumsum(steps, dtype=np.int64))), np.cumsum(lengths, dtype=np.int64)
+    stays = steps != _FAR
+    n_stay = np.concatenate(([0], np.cumsum(stays)))
+    values = upto[1:] - np.repeat(upto[ends - lengths], lengths) - 1
+    return Ragged(values[stays], n_stay[ends] - n_stay[ends - lengths])
+
+
 def page_facts(pages: DataFrame) -> DataFrame:
     """doc_id and what its pages say of it, one row a doc_id: the number after the path's first part is the document's."""
     host, path = host_path(F.col("url"))
@@ -208,9 +229,13 @@ class Features:
             c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
             return Ragged(c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy()))
 
+        words = b.column("words")
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].tobytes()
         dense = b.column("dense")
         dense = dense.combine_chunks() if isinstance(dense, pa.ChunkedArray) else dense
-        return cls(dense.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, MEASURES), ragged("words"), ragged("meta"))
+        return cls(dense.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, MEASURES), unpacked(np.frombuffer(data, "<u2"), np.diff(at) // 2), ragged("meta"))
 
     def rows(self, which: np.ndarray) -> Features:
         return Features(self.dense[which], self.words.rows(which), self.meta.rows(which))
@@ -262,7 +287,7 @@ def features(docs: DataFrame, labels: DataFrame | None = None, pages: DataFrame
     html. Null texts are empty; a null doc_id has neither label nor page.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, k long, source string, lang string, n_chars long, dense array<float>, words array<int>"
+    schema = "doc_id long, k long, source string, lang string, n_chars long, dense array<float>, words binary"
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,7 +295,7 @@ def features(docs: DataFrame, labels: DataFrame | None = None, pages: DataFrame
                 part = b.slice(at, 500)
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 dense = pa.array([text_measures(t) for t in texts], pa.list_(pa.float32()))
-                words = pa.array([word_buckets(t) for t in texts], pa.list_(pa.int32()))
+                words = pa.array([packed(word_buckets(t)) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *part.columns[3:], dense, words], names=["doc_id", "k", "source", "lang", "n_chars", "dense", "words"])
 
     with batch_bytes(spark):

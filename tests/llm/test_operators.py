@@ -433,3 +433,11 @@ def test_nearest_urls(spark):
         before = order[k - 1][4] if k and order[k - 1][0] == r[0] else None
         after = order[k + 1][4] if k + 1 < len(order) and order[k + 1][0] == r[0] else None
         assert got[r[3]] == (before, after)
+
+
+def test_packed_buckets():
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, classifier.WORD_BUCKETS, n)) for n in (0, 1, 2, 3, 900, 0, 40, 1)] + [np.array([0, 65_534, 65_535, 131_070, 196_605, classifier.WORD_BUCKETS - 1])]
+    raw = [classifier.packed(r) for r in rows]
+    got = classifier.unpacked(np.frombuffer(b"".join(raw), "<u2"), np.array([len(x) // 2 for x in raw]))
+    assert got.lengths.tolist() == list(map(len, rows)) and (got.flat == np.concatenate(rows)).all()
