@@ -1,10 +1,10 @@
 """Main text of web pages: blocks from markup, and nearest-URL page differencing of the blocks that markup leaves open.
 
 A page is parsed into blocks of text. Markup settles some: what is in menus, headers, footers, sidebars, notices, adverts, forms
-and comments is dropped, and what is in an article or main element stays. Pages with neither are open: all their other blocks may
-be template. Each open page is paired with the pages before and after it in order of URL path within its host, their lines are
-aligned by longest common subsequence, and the lines they share are deleted. Differencing never touches the inside of an article:
-two pages that carry the same article share it rightly.
+and comments is dropped. Each page is paired with the pages before and after it in order of URL path within its host, and their
+lines are aligned by longest common subsequence. Pages with neither an article nor a main element are open: all their other blocks may be
+template, and the lines that an open page shares with an open neighbour are deleted. Inside an article, lines that it shares with its
+neighbours may be template or repeated by right, such as a licence line, so they go only if over half of the host's articles have them.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ NOT_MAIN_NAMES = frozenset(
     "footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies reply search share sharing "
     "sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Different articles of a host from which what over half of them have is its template.
+LEAST_ARTICLES = 10
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_WORD = re.compile(r"[a-z]+")
@@ -175,8 +177,8 @@ _KEY = ["host", "path", "page_id", "row"]
 
 
 def with_neighbours(rows: DataFrame) -> DataFrame:
-    """host, path, page_id, row, before, after of rows (host, path, page_id, row, lines): the lines of the rows just before and after
-    in order of path within the host, null at a host's ends.
+    """rows (host, path, page_id, row, lines and more) with before, after: the lines of the rows just before and after in order of path
+    within the host, null at a host's ends.
 
     Ranges of all four columns are ordered apart, so that a host or a url of any size is split, and each range gets its
     outer rows' neighbours from the ranges beside it: a row a range, of one page's line hashes.
@@ -191,15 +193,30 @@ def with_neighbours(rows: DataFrame) -> DataFrame:
     own = F.struct("host", "lines")
     near = ranged.withColumns({"_b": F.lag(own).over(order), "_a": F.lead(own).over(order)}).join(F.broadcast(ends), "part")
     same = lambda x: F.when(x["host"] == F.col("host"), x["lines"])
-    return near.select(*_KEY, same(F.coalesce("_b", "_below")).alias("before"), same(F.coalesce("_a", "_above")).alias("after"))
+    return near.select(*rows.columns, same(F.coalesce("_b", "_below")).alias("before"), same(F.coalesce("_a", "_above")).alias("after"))
+
+
+def _template(own: list[int], sizes: list[int], other: list[int]) -> list[int]:
+    """Positions of the lines that an article shares with another, none where that is over half of its text: they are copies."""
+    shared = shared_lines(own, other)
+    return shared if sum(sizes[i] for i in shared) * 2 <= sum(sizes) else []
+
+
+def _everywhere(articles: DataFrame, shared: DataFrame) -> DataFrame:
+    """host, line of shared that over half of the host's different articles have, where it has enough of them."""
+    content = F.xxhash64("lines").alias("content")
+    n_articles = articles.groupBy("host").agg(F.count_distinct(content).alias("n_articles")).filter(F.col("n_articles") >= LEAST_ARTICLES)
+    lines = articles.select("host", content, F.explode(F.array_distinct("lines")).alias("line")).join(shared.select("host", "line").distinct(), ["host", "line"], "left_semi")
+    counted = lines.groupBy("host", "line").agg(F.count_distinct("content").alias("n"))
+    return counted.join(n_articles, "host").filter(2 * F.col("n") > F.col("n_articles")).select("host", "line")
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_neighbours for every row of pages; null html is an empty page, null urls have no host and
-    so each other as neighbours; repeated rows stay.
+    so each other as neighbours; repeated rows stay. n_neighbours is 0 for pages with an article or main element.
 
-    Pages with an article or main element are done where they are read and are not shuffled. Only the line hashes of the others
-    are ordered, and their texts meet what their neighbours have once.
+    Only line hashes are ordered by URL. The texts of open pages meet what their neighbours have once; pages with an article meet the lines to
+    delete from them, and are shuffled only where those are too many to broadcast.
     """
     read = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
 
@@ -210,17 +227,25 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
                 found = [blocks(x) for x in part.column(2).to_pylist()]
                 yield part, found, [any(s == 2 for _, s in f) for f in found]
 
+    def lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, done in parse(batches):
+            own = [[t for t, s in f if s == (2 if d else 1)] for f, d in zip(found, done)]
+            lines = [[_line_id(t) for t in x] for x in own]
+            columns = {"texts": pa.array([None if d else x for x, d in zip(own, done)], pa.list_(pa.string())), "lines": pa.array(lines, pa.list_(pa.int64())), "sizes": pa.array([[len(t) for t in x] for x in own], pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_pydict({"page_id": part.column(0), "url": part.column(1), "page": part.column(3)} | columns)
+
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found, done in parse(batches):
-            got = [" ".join(t for t, s in f if s == 2) for f, d in zip(found, done) if d]
+            gone = [set(x or ()) for x in part.column(3).to_pylist()]
+            got = [" ".join(t for t, s in f if s == 2 and not (g and _line_id(t) in g)) for f, d, g in zip(found, done, gone) if d]
             kept = part.filter(pa.array(done, pa.bool_()))
             yield pa.RecordBatch.from_pydict({"page_id": kept.column(0), "url": kept.column(1), "text": pa.array(got, pa.string()), "n_chars": pa.array(list(map(len, got)), pa.int64()), "n_neighbours": pa.array([0] * len(got), pa.int64())})
 
-    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found, done in parse(batches):
-            left = [[t for t, s in f if s == 1] for f, d in zip(found, done) if not d]
-            kept = part.filter(pa.array([not d for d in done], pa.bool_()))
-            yield pa.RecordBatch.from_pydict({"page_id": kept.column(0), "url": kept.column(1), "texts": pa.array(left, pa.list_(pa.string())), "lines": pa.array([[_line_id(t) for t in x] for x in left], pa.list_(pa.int64()))})
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*[b.column(k).to_pylist() for k in (2, 3, 4, 5)])
+            got = [[own[i] for i in sorted(set(_template(own, sizes, before)) & set(_template(own, sizes, after)))] for own, sizes, before, after in rows]
+            yield pa.RecordBatch.from_pydict({"host": b.column(0), "page": b.column(1), "shared": pa.array(got, pa.list_(pa.int64()))})
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,13 +258,23 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     schema = "page_id long, url string, text string, n_chars long, n_neighbours long"
     with batch_bytes(pages.sparkSession):
-        done = read.mapInArrow(settled, schema)
         host, path = host_path(F.col("url"))
-        open_pages = read.mapInArrow(unsettled, "page_id long, url string, texts array<string>, lines array<long>")
-        open_pages = cut(open_pages.withColumns({"host": host, "path": path, "row": F.xxhash64("url", "texts", F.monotonically_increasing_id())}), "open")
+        hashed = read.withColumn("page", F.xxhash64("page_id", "url", "html"))
+        every = hashed.mapInArrow(lined, "page_id long, url string, page long, texts array<string>, lines array<long>, sizes array<int>")
+        every = cut(every.withColumns({"host": host, "path": path, "row": F.xxhash64("url", "texts", F.monotonically_increasing_id())}), "blocks")
+        open_pages, articles = every.filter("texts is not null"), every.filter("texts is null")
         near = with_neighbours(open_pages.select(*_KEY, "lines"))
         met = open_pages.select("page_id", "url", "texts", "row").join(near.select(F.col("page_id").alias("_id"), F.col("row").alias("_row"), "before", "after"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
-        return done.unionByName(met.select("page_id", "url", "texts", "before", "after").mapInArrow(difference, schema))
+        opened = met.select("page_id", "url", "texts", "before", "after").mapInArrow(difference, schema)
+        # equal rows are one page here
+        once = articles.select("host", "path", "page_id", F.col("page").alias("row"), "lines", "sizes").dropDuplicates(_KEY)
+        near = with_neighbours(once).withColumns({"before": F.coalesce("before", "after"), "after": F.coalesce("after", "before")})
+        near = near.filter(F.arrays_overlap("lines", "before") & F.arrays_overlap("lines", "after"))
+        shared = near.select("host", "row", "lines", "sizes", "before", "after").mapInArrow(common, "host string, page long, shared array<long>")
+        shared = cut(shared.select("host", "page", F.explode("shared").alias("line")).distinct(), "shared")
+        gone = cut(shared.join(_everywhere(articles, shared), ["host", "line"]).groupBy("page").agg(F.collect_set("line").alias("gone")), "template")
+        done = hashed.join(gone, "page", "left").select("page_id", "url", "html", "gone").mapInArrow(settled, schema)
+        return done.unionByName(opened)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
