@@ -1,4 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles: candidates by bands of least hashes, components by star contraction.
+"""Near copies: candidates by SimHash and by bands of least hashes, an exact check of Jaccard similarity, components by star contraction.
+
+SimHash pairs classes whose fingerprints of three-word shingles differ in at most three bits, by multi-index hashing as in simhash.py. At a
+similarity of 0.8 fingerprints differ in about ten bits, which no segments reach, so bands of least hashes pair what SimHash leaves apart.
 
 Texts of equal shingle sets are one class before any pair is made. A class has BANDS keys, each of ROWS least hashes; two classes
 of similarity J share a key with probability 1 - (1 - J ** ROWS) ** BANDS, which at J = 0.8 falls short of 1 by 5 in a million.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .simhash import components, keep_least
+from .simhash import components, fingerprint, keep_least, links
 
 SHINGLE_WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -109,6 +112,21 @@ def _may_agree(x: str, y: str, similarity: Fraction):
     return (small * F.lit(similarity.denominator) >= large * F.lit(similarity.numerator)) & (reduce(add, differ) <= most)
 
 
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def simhash_pairs(made: DataFrame) -> DataFrame:
+    """a < b, classes that SimHash joins, of rows (cls, fp): the least class of a fingerprint stands for it, and meets the fingerprint's other
+    classes and those that stand for the fingerprints within its bits. A class can have several fingerprints."""
+    printed = cut(made.select("fp", "cls").distinct(), "printed")
+    stands = cut(printed.groupBy("fp").agg(F.min("cls").alias("rep")), "stands")
+    same = printed.join(stands.hint("merge"), "fp").select(*_pair("rep", "cls"))
+    of_a, of_b = stands.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), stands.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
+    close = cut(links(stands.select("fp")), "close").join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b").select(*_pair("rep_a", "rep_b"))
+    return same.union(close).filter("a <> b").distinct()
+
+
 def near_copies(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, k, root, component_id for each row of docs: k is a hash of the text, root the least class it reaches, component_id the least doc_id there
     (null where the whole component has none). Null, empty and blank texts are one class."""
@@ -116,7 +134,7 @@ def near_copies(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle_word
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, shingle_words) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "k": b.column(1), "cls": pa.array([_class(x) for x in found], pa.int64()), "bands": pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "k": b.column(1), "cls": pa.array([_class(x) for x in found], pa.int64()), "fp": pa.array([fingerprint(t) for t in b.column(2).to_pylist()], pa.int64()), "bands": pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))})
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,23 +151,22 @@ def near_copies(docs: DataFrame, similarity: Fraction = SIMILARITY, shingle_word
                 yield pa.RecordBatch.from_pydict({"cls": part.column(0), "root": part.column(1)} | columns)
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
-    made = cut(texts.mapInArrow(prints, "doc_id long, k long, cls long, bands array<long>"), "prints")
+    made = cut(texts.mapInArrow(prints, "doc_id long, k long, cls long, fp long, bands array<long>"), "prints")
     classes = cut(made.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("cls", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.min_by("cls", F.xxhash64("cls", "band")).alias("lead")).filter("n > 1").select("band", "lead")
     members = cut(entries.join(shared.hint("merge"), "band").select("band", "cls", "lead"), "members")
+    by_simhash = cut(simhash_pairs(made), "by_simhash")
     # the sets of candidates only, each made again from one text of its class
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("k")
+    candidates = members.select("cls").union(by_simhash.select("a")).union(by_simhash.select("b")).distinct()
+    wanted = classes.join(candidates, "cls", "left_semi").select("k")
     found = cut(texts.join(wanted.hint("merge"), "k", "left_semi").dropDuplicates(["k"]).select("text").mapInArrow(sets, "cls long, found array<long>"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = found.select(F.col("cls").alias("a"), F.col("found").alias("of_a")), found.select(F.col("cls").alias("b"), F.col("found").alias("of_b"))
         return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(_agree("of_a", "of_b", similarity)).select("a", "b")
 
-    def pair(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    led = cut(linked(cut(members.filter("cls <> lead").select(*pair("cls", "lead")).distinct(), "pairs")), "led")
+    led = cut(linked(cut(by_simhash.union(members.filter("cls <> lead").select(*_pair("cls", "lead"))).distinct(), "pairs")), "led")
     stars = cut(components(led), "stars")
     now = members.join(stars.hint("merge"), members["cls"] == stars["node"], "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
     now = cut(now, "now")
