@@ -2,14 +2,13 @@
 
 A byte-level vocabulary never joins a token across the start of a run of white space, so a text falls into chunks (white
 space, then other characters) whose ids do not depend on their neighbours. A worker encodes each chunk that it has not seen and
-looks the others up; the memory of that table is bounded. Chunks of ASCII and Latin-1 letters are cut into pieces here, which the
+looks the others up, short ones as arrays of 64-bit words; the memory of that table is bounded. Chunks of ASCII and Latin-1 letters are cut into pieces here, which the
 library's model encodes; all others, and those that hold an added token such as an end mark, are encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import array
-import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -46,17 +45,30 @@ _SHOWN = _shown()
 _MARKS = frozenset(".,;:!?")
 
 
-class _Index(dict):
-    """Numbers chunks as they are first asked for, and lists the new ones."""
+#: Whether a code point is white space, up to the first after the last that is.
+_IS_WHITE = np.array([bool(re.fullmatch(f"[{_WHITE}]", chr(i))) for i in range(max(map(ord, _WHITE)) + 2)])
+#: Latin-1's letters as in _WORD, and the marks.
+_IS_LETTER = np.array([bool(re.fullmatch("[A-Za-zÀ-ÖØ-öø-ÿ]", chr(i))) for i in range(256)] + [False])
+_IS_MARK = np.array([chr(i) in ".,;:!?" for i in range(256)] + [False])
+#: Chunks of so many code points under 256, none of them 0, are looked up as three 64-bit words, all at once.
+_SHORT = 24
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Odd factors of a hash.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
+def _mixed(words: np.ndarray) -> np.ndarray:
+    h = words[:, 0] * _MIX[0]
+    for k in (1, 2):
+        h ^= h >> np.uint64(32)
+        h = (h + words[:, k]) * _MIX[k]
+    return h ^ (h >> np.uint64(29))
+
+
+def _grown(a: np.ndarray, need: int) -> np.ndarray:
+    if len(a) >= need:
+        return a
+    return np.concatenate([a, np.zeros((max(need - len(a), len(a), 1024), *a.shape[1:]), a.dtype)])
 
 
 class Encoder:
@@ -75,12 +87,20 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.chars, self.pieces = _Index(), 0, {}
+        # entries of long chunks by text; of short ones by ascending hash, with the words that the hash is of
+        self.index, self.chars, self.pieces = {}, 0, {}
+        self.hashes, self.entries, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 3), np.uint64)
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.n_starts = self.n_pool = 0
 
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
+    def _learn(self, words: list[str], new: list[str]) -> None:
+        """Makes an entry of each word after a space, and of each other chunk, in order."""
+        tokenize, flat, sizes = self.tokenizer.model.tokenize, [], []
+        for word in words:
+            shown = "Ġ" + word[1:] if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in tokenize(shown)]
+            sizes.append(len(ids))
+            flat += ids
         made, known, learn = [], self.pieces, self._piece
         for chunk in new:
             # most chunks are a word after a space, with or without a mark at its end: one piece or two
@@ -92,17 +112,13 @@ class Encoder:
                 made.append(b"".join([known.get(piece) or learn(piece) for piece in self._pieces(chunk)]))
             else:
                 made.append(np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes())
-        lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
-        total, n = int(lengths.sum()), len(made)
-
-        def grown(a: np.ndarray, need: int) -> np.ndarray:
-            return a if len(a) >= need else np.concatenate([a, np.zeros(max(need - len(a), len(a), 1024), a.dtype)])
-
-        self.starts, self.lengths = grown(self.starts, self.n_starts + n), grown(self.lengths, self.n_starts + n)
-        self.pool = grown(self.pool, self.n_pool + total)
+        lengths = np.concatenate([np.array(sizes, np.int64), np.fromiter(map(len, made), np.int64, len(made)) // 4])
+        total, n = int(lengths.sum()), len(lengths)
+        self.starts, self.lengths = _grown(self.starts, self.n_starts + n), _grown(self.lengths, self.n_starts + n)
+        self.pool = _grown(self.pool, self.n_pool + total)
         self.starts[self.n_starts : self.n_starts + n] = self.n_pool + np.cumsum(lengths) - lengths
         self.lengths[self.n_starts : self.n_starts + n] = lengths
-        self.pool[self.n_pool : self.n_pool + total] = np.frombuffer(b"".join(made), np.uint32)
+        self.pool[self.n_pool : self.n_pool + total] = np.concatenate([np.array(flat, np.uint32), np.frombuffer(b"".join(made), np.uint32)])
         self.n_starts, self.n_pool = self.n_starts + n, self.n_pool + total
 
     def _piece(self, piece: str) -> bytes:
@@ -111,29 +127,79 @@ class Encoder:
         self.pieces[piece] = ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return ids
 
+    def _short_words(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        padded = np.zeros(len(points) + _SHORT + 8, np.uint8)
+        padded[: len(points)] = points.astype(np.uint8)
+        at = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        return np.stack([at[starts + 8 * k] & _FIRST_BYTES[np.clip(lengths - 8 * k, 0, 8)] for k in range(3)], axis=1)
+
     def _group(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [_CHUNK.findall(t) for t in texts]
-        ends = np.cumsum([len(c) for c in chunks])
-        n_chunks, kept = int(ends[-1]), (len(self.index), self.n_starts, self.n_pool)
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, n_chunks)
-        new = self.index.new
-        if new:
-            self._learn()
-        lengths = self.lengths[at]
-        after = np.cumsum(lengths)
-        total = int(after[-1]) if n_chunks else 0
-        ids = self.pool[np.repeat(self.starts[at] - (after - lengths), lengths) + np.arange(total)]
-        cuts = np.concatenate(([0], after))[ends]
-        if 4 * len(new) > n_chunks and len(self.index) > TABLE_CHUNKS:
+        joined = "".join(texts)
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        text_ends = np.cumsum([len(t) for t in texts])
+        white = _IS_WHITE[np.minimum(points, len(_IS_WHITE) - 1)]
+        begins = white.copy()
+        begins[1:] &= ~white[:-1]
+        begins[(text_ends - [len(t) for t in texts])[[bool(t) for t in texts]]] = True
+        starts = np.flatnonzero(begins)
+        # a word after a space is a piece of its own, and so is a mark at the end of its chunk
+        narrow = np.minimum(points, 256)
+        letters = _IS_LETTER[narrow]
+        if len(starts):
+            counts, sizes = np.add.reduceat(letters, starts, dtype=np.int64), np.diff(starts, append=len(points))
+            marked = (points[starts] == 32) & (sizes > 2) & (counts == sizes - 2) & _IS_MARK[narrow[starts + sizes - 1]]
+            begins[(starts + sizes - 1)[marked]] = True
+            starts = np.flatnonzero(begins)
+        n_chunks, lengths = len(starts), np.diff(starts, append=len(points))
+        if not n_chunks:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        wide = np.logical_or.reduceat((points > 255) | (points == 0), starts)
+        short = (lengths <= _SHORT) & ~wide
+        words = self._short_words(points, starts[short], lengths[short])
+        hashes, first, back = np.unique(_mixed(words), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        known[place < len(self.hashes)] = self.hashes[place[place < len(self.hashes)]] == hashes[place < len(self.hashes)]
+        entry = np.full(len(hashes), -1, np.int64)
+        entry[known] = self.entries[place[known]]
+        # other words of an equal hash are looked up as text
+        clash = (words[first][back] != words).any(axis=1)
+        clash |= (known & (self.words[entry] != words[first]).any(axis=1))[back] if len(self.words) else False
+        rows = np.flatnonzero(short)
+        texts_of = np.concatenate([np.flatnonzero(~short), rows[clash]])
+        others = [joined[a : a + n] for a, n in zip(starts[texts_of].tolist(), lengths[texts_of].tolist())]
+        is_word = (points[starts] == 32) & (lengths > 1) & (np.add.reduceat(letters, starts, dtype=np.int64) == lengths - 1)
+        fresh = np.flatnonzero(~known)
+        fresh = fresh[np.argsort(~is_word[rows[first[fresh]]], kind="stable")]
+        from_short = rows[first[fresh]]
+        n_words = int(is_word[from_short].sum())
+        new = [joined[a : a + n] for a, n in zip(starts[from_short].tolist(), lengths[from_short].tolist())]
+        new_others = [c for c in dict.fromkeys(others) if c not in self.index]
+        kept = self.n_starts, self.n_pool
+        if new or new_others:
+            self._learn(new[:n_words], new[n_words:] + new_others)
+        entry[fresh] = kept[0] + np.arange(len(new))
+        self.index.update(zip(new_others, range(kept[0] + len(new), self.n_starts)))
+        at = np.empty(n_chunks, np.int64)
+        at[rows] = entry[back]
+        at[texts_of] = [self.index[c] for c in others]
+        sizes = self.lengths[at]
+        after = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[at] - (after - sizes), sizes) + np.arange(int(after[-1]))]
+        cuts = np.concatenate(([0], after))[np.searchsorted(starts, text_ends)]
+        if 4 * (self.n_starts - kept[0]) > n_chunks and self.n_starts > TABLE_CHUNKS:
             self._reset()  # other texts than those the table was made from
         elif kept[0] > TABLE_CHUNKS or self.chars > TABLE_CHARS:
-            for chunk in new:  # the table is full: what came first, so most that is frequent, stays
+            for chunk in new_others:  # the table is full: what came first, so most that is frequent, stays
                 del self.index[chunk]
-            _, self.n_starts, self.n_pool = kept
+            self.n_starts, self.n_pool = kept
             if len(self.pieces) > TABLE_PIECES:
                 self.pieces = {}
         else:
-            self.chars += sum(map(len, new))
+            self.hashes, self.entries = np.insert(self.hashes, place[~known], hashes[~known]), np.insert(self.entries, place[~known], entry[~known])
+            self.words = _grown(self.words, self.n_starts)
+            self.words[kept[0] : kept[0] + len(new)] = words[first[fresh]]
+            self.chars += sum(map(len, new)) + sum(map(len, new_others))
         return np.split(ids, cuts[:-1])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
