@@ -327,7 +327,7 @@ def _log_odds(rows: DataFrame, models: tuple[Model, Model]) -> DataFrame:
 def marks(odds: DataFrame, priors: dict[str, float], round_no: int, most: int = MARKS) -> DataFrame:
     """what (such as quality_text: the target, and the view that says so), y, k: the rows of odds (doc_id, k, log odds) that each
     view labels in a round: those beyond its quantile of a class whose log odds are EVIDENCE from the prior; of more than most rows
-    of a view and class those of least hash."""
+    of a view and class those of least hash. Rows of equal input share a k and are one mark."""
     share = {t: 1 / (1 + math.exp(-p)) for t, p in priors.items()}
     names = [f"{t}_{v}" for t in TARGETS for v in VIEWS]
     ends = {n: (MARKED * (1 - share[n.split("_")[0]]), 1 - MARKED * share[n.split("_")[0]]) for n in names}
@@ -340,11 +340,18 @@ def marks(odds: DataFrame, priors: dict[str, float], round_no: int, most: int =
         prior, (low, high) = priors[n.split("_")[0]], at[n]
         for y, sure in ((1, (F.col(n) >= max(high, prior + EVIDENCE))), (0, F.col(n) <= min(low, prior - EVIDENCE))):
             said.append(F.when(sure, F.struct(F.lit(n).alias("what"), F.lit(y).alias("y"))))
-    each = odds.select("k", F.explode(F.array_compact(F.array(*said))).alias("m")).select("m.what", "m.y", "k")
+    each = odds.select("k", F.explode(F.array_compact(F.array(*said))).alias("m")).select("m.what", "m.y", "k").distinct()
     order = Window.partitionBy("what", "y").orderBy(F.xxhash64("k", F.lit(round_no)), "k")
     return each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
 
 
+def marked(pool: DataFrame, chosen: DataFrame) -> DataFrame:
+    """what, y, k, dense, words, meta of each mark: one row, however many rows of the pool have its k. Any of them will do, as a view
+    is only told what the other says: copies have one text, and what the text says holds for the page of each."""
+    of_k = pool.join(F.broadcast(chosen.select("k").distinct()), "k", "left_semi").groupBy("k").agg(F.min(F.struct("doc_id", "dense", "words", "meta")).alias("row"))
+    return of_k.join(F.broadcast(chosen), "k").select("what", "y", "k", "row.dense", "row.words", "row.meta").orderBy("what", "k", "y")
+
+
 def _columns(rows: DataFrame, *names: str) -> pa.Table:
     return rows.select(*names).toArrow()
 
@@ -367,8 +374,7 @@ def co_train(rows: DataFrame, labelled: int = LABELLED, most: int = MARKS, round
         chosen = marks(odds, {t: m.prior for t, m in zip(TARGETS, models)}, r, most)
         chosen = cut(chosen, "marks")
         # at most most rows for each of two classes, two views and two targets
-        with_features = pool.join(F.broadcast(chosen), "k").orderBy("what", "k")
-        new = _columns(with_features, "what", "y", "dense", "words", "meta")
+        new = _columns(marked(pool, chosen), "what", "y", "dense", "words", "meta")
         what, y, f = np.array(new.column("what").to_pylist(), object), new.column("y").to_numpy().astype(float), Features.of(new)
         for t in TARGETS:
             for v, other in (("text", "meta"), ("meta", "text")):
