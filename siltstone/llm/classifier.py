@@ -78,6 +78,8 @@ def word_buckets(text: str) -> np.ndarray:
 
 
 _FAR = 65_535
+#: Bounds of temporary arrays.
+_ROWS_AT_ONCE, _VALUES_AT_ONCE = 200, 1 << 16
 
 
 def packed(buckets: np.ndarray) -> bytes:
@@ -90,12 +92,19 @@ def packed(buckets: np.ndarray) -> bytes:
 
 
 def unpacked(steps: np.ndarray, lengths: np.ndarray) -> Ragged:
-    """The buckets of rows whose steps follow each other; lengths: steps of each row."""
-    upto, ends = np.concatenate(([0], np.cumsum(steps, dtype=np.int64))), np.cumsum(lengths, dtype=np.int64)
-    stays = steps != _FAR
-    n_stay = np.concatenate(([0], np.cumsum(stays)))
-    values = upto[1:] - np.repeat(upto[ends - lengths], lengths) - 1
-    return Ragged(values[stays], n_stay[ends] - n_stay[ends - lengths])
+    """The buckets of rows whose steps follow each other; lengths: steps of each row. Some rows at a time, for small temporary arrays."""
+    flat, of_row, begin = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+    for at in range(0, len(lengths), _ROWS_AT_ONCE):
+        part = lengths[at : at + _ROWS_AT_ONCE]
+        ends = np.cumsum(part, dtype=np.int64)
+        own = steps[begin : begin + ends[-1]]
+        begin += ends[-1]
+        upto, stays = np.concatenate(([0], np.cumsum(own, dtype=np.int64))), own != _FAR
+        n_stay = np.concatenate(([0], np.cumsum(stays)))
+        values = upto[1:] - np.repeat(upto[ends - part], part) - 1
+        flat.append(values[stays].astype(np.int32))
+        of_row.append(n_stay[ends] - n_stay[ends - part])
+    return Ragged(np.concatenate(flat), np.concatenate(of_row))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -123,13 +132,11 @@ class Ragged:
     """Rows of different lengths: their values one after the other."""
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray):
-        self.flat, self.lengths, self.ends = flat.astype(np.int64), lengths.astype(np.int64), np.cumsum(lengths, dtype=np.int64)
+        self.flat, self.lengths, self.ends = flat.astype(np.int32, copy=False), lengths.astype(np.int64), np.cumsum(lengths, dtype=np.int64)
 
     def rows(self, which: np.ndarray) -> Ragged:
-        lengths = self.lengths[which]
-        starts = (self.ends - self.lengths)[which]
-        at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        return Ragged(self.flat[at], lengths)
+        lengths, ends = self.lengths[which], self.ends[which]
+        return Ragged(np.concatenate([self.flat[:0], *(self.flat[b - n : b] for n, b in zip(lengths, ends))]), lengths)
 
     def __add__(self, other: Ragged) -> Ragged:
         return Ragged(np.concatenate((self.flat, other.flat)), np.concatenate((self.lengths, other.lengths)))
@@ -160,18 +167,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(dense: np.ndarray, buckets: Ragged, y: np.ndarray, width: int, weight: np.ndarray, l2: float = 1.0, steps: int = 250) -> Linear:
     """Logistic regression by Adam on all rows at once, over the measures and the buckets that tell the classes apart; deterministic."""
     n, d = len(y), dense.shape[1]
-    flat, row = buckets.flat, np.repeat(np.arange(n), buckets.lengths)
-    docs_with = np.bincount(flat, weight[row], minlength=width)
-    good_with = np.bincount(flat, (weight * y)[row], minlength=width)
-    good, total = (weight * y).sum(), weight.sum()
+    flat, row = buckets.flat, np.repeat(np.arange(n, dtype=np.int32), buckets.lengths)
+    docs_with, good_with, good_weight = np.zeros(width), np.zeros(width), weight * y
+    for at in range(0, len(flat), _VALUES_AT_ONCE):
+        part, of = flat[at : at + _VALUES_AT_ONCE], row[at : at + _VALUES_AT_ONCE]
+        np.add.at(docs_with, part, weight[of])
+        np.add.at(good_with, part, good_weight[of])
+    good, total = good_weight.sum(), weight.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         p = docs_with / total
         errors = (good_with / good - (docs_with - good_with) / (total - good)) / np.sqrt(p * (1 - p) * (1 / good + 1 / (total - good)))
     chosen = np.flatnonzero((docs_with >= LEAST_DOCS) & (np.abs(np.nan_to_num(errors)) >= LEAST_ERRORS))
-    place = np.full(width, -1)
+    place = np.full(width, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     has = place[flat] >= 0
-    flat, row = place[flat[has]], row[has]
+    flat, row = place[flat[has]].astype(np.int64), row[has].astype(np.int64)
     w = np.zeros(d + len(chosen) + 1)
     penalty = np.concatenate((np.full(d, 0.02 * l2), np.full(len(chosen), l2), [0.0])) / total
     first, second = np.zeros_like(w), np.zeros_like(w)

@@ -1,7 +1,9 @@
 """Copies of a text in the classifier's rounds: they are one mark, and what the driver gathers is bounded whatever their number."""
 
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from siltstone.llm import classifier
@@ -38,3 +40,18 @@ def test_gathered_rows_are_bounded(rows, monkeypatch):
     sample, *told = gathered
     assert sample.num_rows == 40 and len(told) == 2
     assert all(0 < t.num_rows <= MOST * 2 * len(classifier.VIEWS) * len(classifier.TARGETS) for t in told)
+
+
+def test_rows_are_unpacked_in_little_memory():
+    """4000 rows of 1000 buckets of 4 bytes; while they are put together they are there twice."""
+    rng = np.random.default_rng(3)
+    raw = [classifier.packed(np.unique(rng.integers(0, classifier.WORD_BUCKETS, 1000))) for _ in range(4000)]
+    steps, lengths = np.frombuffer(b"".join(raw), "<u2"), np.array([len(x) // 2 for x in raw])
+    tracemalloc.start()
+    try:
+        got = classifier.unpacked(steps, lengths)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(got.flat) == lengths.sum() and held < 5 * len(steps)
+    assert peak < 10 * len(steps)
