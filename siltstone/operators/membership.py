@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SLOTS, MAX_KICKS, HASH_SEED = 4, 500, 0
+#: Tasks that share the probes of a shard.
+PARTS = 8
 
 
 def contained(probe: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
@@ -154,24 +158,25 @@ def build_filters(keys: DataFrame, shards: int, key: str = "key") -> DataFrame:
 
 
 def probe_filters(probe: DataFrame, filters: DataFrame, shards: int, key: str = "key") -> DataFrame:
-    """probe with maybe: false where the key is surely in no shard's filter."""
-    dealt = probe.withColumn("shard", F.pmod(F.xxhash64(F.col(key).cast("binary")), F.lit(shards)).cast("int"))
-    joined = dealt.join(filters, "shard", "left")
-
-    @F.pandas_udf("boolean")
-    def maybe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        made: dict[int, ScalableCuckooFilter] = {}
-        for ks, raws in batches:
-            out = []
-            for k, raw in zip(ks, raws):
-                if raw is None:
-                    out.append(False)
-                    continue
-                name = xxh64(b"".join(map(bytes, raw)))
-                if name not in made:
-                    made = made if len(made) < 64 else {}
-                    made[name] = ScalableCuckooFilter.decode(list(map(bytes, raw)))
-                out.append(made[name].lookup(bytes(k)))
-            yield pd.Series(out)
-
-    return joined.withColumn("maybe", maybe(F.col(key).cast("binary"), F.col("filters"))).drop("filters", "shard")
+    """probe with maybe: false where the key is surely in no shard's filter. A shard's filters go once to each of the PARTS tasks
+    that share its rows, ahead of the rows, which pass by them in batches; so no row carries a filter and no task holds a shard's rows."""
+    whole = probe.select(F.pmod(F.xxhash64(F.col(key).cast("binary")), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("binary").alias("k"), F.struct(*probe.columns).alias("row"))
+    spread = [c for c, kind in probe.dtypes if "map<" not in kind and "variant" not in kind]  # rows of a common key go to different parts, where they differ
+    asked = whole.withColumn("part", F.pmod(F.xxhash64(*[F.col("row")[c] for c in spread]), F.lit(PARTS)).cast("int")).withColumn("asks", F.lit(True)).withColumn("filters", F.lit(None).cast("array<binary>"))
+    held = filters.select("shard", "filters", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(False).alias("asks"), F.lit(None).cast("binary").alias("k"), F.lit(None).cast(probe.schema).alias("row"))
+    met = held.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "asks")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = None, []
+        for batch in batches:
+            maybe = []
+            for shard, part, asks, k, raw in zip(*(batch.column(c).to_pylist() for c in ("shard", "part", "asks", "k", "filters"))):
+                if (shard, part) != here:
+                    here, known = (shard, part), []
+                if asks:
+                    maybe.append(k is not None and any(f.lookup(k) for f in known))
+                else:
+                    known.append(ScalableCuckooFilter.decode(raw))
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(batch.column("asks")), pa.array(maybe, pa.bool_())], ["row", "maybe"])
+
+    return met.mapInArrow(look, StructType().add("row", probe.schema).add("maybe", "boolean")).select("row.*", "maybe")
