@@ -90,11 +90,14 @@ class Engine:
 
     def append(self, rows: DataFrame, txn_id: int | None = None, streams: dict[str, int] | None = None) -> int:
         """Appends rows (key, value, op, pos, expires_at) of any number as one batch; pos orders them within it. streams tells
-        which micro-batch of which stream this is, so that it is known if it comes again."""
+        which micro-batch of which stream this is, so that it is known if it comes again. Each memtable_size bytes make a table."""
         self._check()
         batch = max((t["batch"] for t in self.manifest.state.tables.values()), default=0) + 1
         stamped = rows.select("key", "value", "op", (F.lit(batch << 32) + F.col("pos")).alias("seq"), F.lit(batch).cast("long").alias("batch_id"), F.lit(txn_id).cast("long").alias("txn_id"), F.current_timestamp().alias("commit_ts"), "expires_at")
-        self.manifest.add(self._write_tables(logs.writes(stamped), 0, batch, self.manifest.state.next_id(), 1, streams or {}))
+        written = logs.writes(stamped)
+        size = written.agg(F.sum(entry_size(F.col("key"), F.col("value")))).first()[0] or 0
+        count = max(1, -(-size // self.options.memtable_size))
+        self.manifest.add(self._write_tables(written, 0, batch, self.manifest.state.next_id(), count, streams or {}))
         return batch
 
     def streamed(self, name: str) -> int:
@@ -102,9 +105,10 @@ class Engine:
         return max((t.get("streams", {}).get(name, -1) for t in self.manifest.state.tables.values()), default=-1)
 
     def _write_tables(self, rows: DataFrame, level: int, batch: int, first_id: int, count: int, streams: dict[str, int]) -> list[dict]:
-        """Writes rows as count tables of separate key ranges and returns their CREATE changes. Files not published are invisible."""
+        """Writes rows as count tables of separate ranges and returns their CREATE changes. Files not published are invisible. Versions
+        of a key may be parted by seq, so that no task gets all of a common key; tables of one version a key share no key."""
         place = f"level-{level}/{uuid.uuid4().hex}"
-        ranged = rows.repartitionByRange(count, "key").withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", "seq")
+        ranged = rows.repartitionByRange(count, "key", "seq").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "key", "seq")
         writer = ranged.write.partitionBy("part")
         if self.options.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
